@@ -86,3 +86,8 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no live DataFrame reads, now rather than at the next collection."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def sent_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for a broadcast join if it has at most so many rows; else a shuffle joins it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import embeddings, packing, simhash, substrings, token_counts
+from tidewell.llm import chat, embeddings, mixing, packing, quality, simhash, substrings, token_counts
+from tidewell.llm.common import Written, word_count
 
 #: Folder of public vocabulary files.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -30,6 +31,13 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digests(chat.format_chats(rows.unionByName(more)))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -38,6 +46,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_rules(docs.select("doc_id", "text"), model).select("doc_id", "quality.*")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -46,8 +60,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = Written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "sized").df
+    return mixing.mix_sources(sized, size=F.col("words")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op4_substring_dedup, op5_simhash_near_dedup, op8_best_fit_packing, op9_token_counts)
+    f.__name__: f for f in (op2_embedding_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
