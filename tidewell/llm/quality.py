@@ -25,11 +25,12 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
-    """Words in runs of window words that the text holds more than once, the first included.
+def n_repeat_words(hashes: Column, doublings: int = 3) -> Column:
+    """Words in runs of 2 ** doublings words that the text holds more than once, the first included, from its words' hashes.
 
-    Runs are compared by two chained 64-bit hashes of their words' hashes.
+    A run's 64-bit hash is made of its halves' hashes, so each doubling costs two hashes a word.
     """
+    window = 1 << doublings
 
     def count(keys: Column) -> Column:
         ranked = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
@@ -42,21 +43,22 @@ def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(keys)) == F.size(keys), 0).otherwise(let(ranked, covered))
 
-    def of(h: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window)))
-        return let(keys, count)
+    def doubled(h: Column, half: int) -> Column:
+        if half == window:
+            return let(h, count)
+        runs = let(h, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1 - half), lambda i: F.xxhash64(x[i], x[i + half])))
+        return doubled(runs, 2 * half)
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < window + 1, 0).otherwise(let(hashes, of)).cast("long")
+    return F.when(F.size(hashes) <= window, 0).otherwise(doubled(hashes, 1)).cast("long")
 
 
-def base_rules(text: Column, words: Column) -> dict[str, Column]:
+def base_rules(text: Column, words: Column, hashes: Column) -> dict[str, Column]:
     return {
         "n_words": n_words(words),
         "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.length(w)),
         "n_symbols": F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SYMBOLS, "")).cast("long"),
         "n_dup_lines": n_dup_lines(text),
-        "n_repeat_words": n_repeat_words(words),
+        "n_repeat_words": n_repeat_words(hashes),
     }
 
 
@@ -65,9 +67,13 @@ def shape(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Ll}+", "a"), r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]+", "A"), r"\p{N}+", "0")
 
 
-def grams(words: Column, shapes: Column, buckets: int) -> Column:
-    """Buckets of a text's n-grams: its words, and pairs of neighbouring word shapes, an end counting as a neighbour."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams(hashes: Column, shapes: Column, buckets: int) -> Column:
+    """Buckets of a text's n-grams: its words, by their hashes, and pairs of neighbouring word shapes, an end counting as a neighbour."""
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     two = let(shapes, lambda s: F.transform(s, lambda w, i: F.pmod(F.xxhash64(w, F.when(i + 1 < F.size(s), s[i + 1]).otherwise(F.lit("")), F.lit(2)), F.lit(buckets)).cast("int")))
     return F.concat(one, two)
 
@@ -105,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
     sample = Written(_sample(labels, most_labelled), "labels").df
     rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("__text"))
     marked = rows.join(F.broadcast(sample), F.col("__id") == F.col("label_id"), "left")
-    g = grams(words, F.col("__shapes"), buckets)
+    g = grams(word_hashes(words), F.col("__shapes"), buckets)
     split = marked.withColumn("__words", word_array(text)).withColumn("__shapes", word_array(shape(text)))
     counts = split.select("good", F.explode(g).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good") == 1, 1)).alias("trusted"))
     table = {r["bucket"]: (r["raw"], r["trusted"]) for r in counts.collect()}  # at most buckets rows
@@ -115,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
     ratio = [math.log(((n := table.get(b, (0, 0)))[1] + 1) / (trusted + buckets)) - math.log((n[0] + 1) / (raw + buckets)) for b in range(buckets)]
     model = Model(ratio, 0.0)
     known = rows.join(F.broadcast(sample), F.col("__id") == F.col("label_id"))
-    scored = known.withColumn("__words", word_array(text)).withColumn("__shapes", word_array(shape(text))).select("good", (F.size(words) < MIN_WORDS).alias("short"), model.score(g).alias("score"))
+    scored = known.withColumn("__words", word_array(text)).withColumn("__shapes", word_array(shape(text))).select("good", (F.size(words) < MIN_WORDS).alias("short"), let(g, model.score).alias("score"))
     at = scored.where("not short").agg(F.percentile(F.when(F.col("good") == 1, F.col("score")), F.lit(1 - keep)).alias("low"), F.percentile(F.when(F.col("good") == 0, F.col("score")), F.lit(keep)).alias("bad_high")).first()
     low = at["low"] if at["low"] is not None else float("-inf")
     if at["bad_high"] is not None and at["bad_high"] < low:  # the classes part: stay near the bad
@@ -133,8 +139,8 @@ def quality_rules(docs: DataFrame, model: Model, buckets: int = 1 << 14, text_co
     text = F.col(f"`{text_col}`").cast("string")
     names = docs.columns
     split = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text")).withColumn("words", word_array(F.col("text")))
-    split = split.withColumn("shapes", word_array(shape(F.col("text"))))
-    rules = split.select("row", *(c.alias(k) for k, c in base_rules(F.col("text"), F.col("words")).items()), let(grams(F.col("words"), F.col("shapes"), buckets), model.score).alias("score"))
+    split = split.withColumn("shapes", word_array(shape(F.col("text")))).withColumn("hashes", word_hashes(F.col("words")))
+    rules = split.select("row", *(c.alias(k) for k, c in base_rules(F.col("text"), F.col("words"), F.col("hashes")).items()), let(grams(F.col("hashes"), F.col("shapes"), buckets), model.score).alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rules = rules.withColumn("base_failed", failed)
     quality = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= F.lit(model.threshold))).alias("kept"))

@@ -8,14 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, embeddings, mixing, packing, quality, simhash, substrings, token_counts
+from tidewell.llm import chat, embeddings, lines, mixing, packing, pii, quality, simhash, substrings, token_counts
 from tidewell.llm.common import Written, word_count
 
 #: Folder of public vocabulary files.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
-def _vocabulary(name: str) -> str:
+#: Key of the pseudonyms; a deployment sets its own, secret one.
+PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "set-a-secret-key")
+
+
+def vocabulary(name: str) -> str:
     try:
         import public_tokenizers
     except ImportError:
@@ -27,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "lines.*")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +54,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY).select("doc_id", "text", "private.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -53,11 +65,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +78,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_simhash_near_dedup, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_source_mixing)
+    f.__name__: f for f in (op1_line_dedup, op2_embedding_near_dedup, op3_chat_formatting, op4_substring_dedup, op5_simhash_near_dedup, op6_pii_pseudonyms, op7_quality_rules, op8_best_fit_packing, op9_token_counts, op10_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
