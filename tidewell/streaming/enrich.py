@@ -1,0 +1,85 @@
+"""Enrichment of events by dimension rows that may come later."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+from typing import Any
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+
+class LateDimension(StatefulProcessor):
+    """Holds an event until a dimension row of its key comes, at most ttl of event time; dimension rows stay.
+
+    An input row is (key, kind 0 event or 1 dimension, ts, payload JSON). An event is joined with every dimension version known, or waits; a
+    dimension row is joined with the events that wait and are alive, ends included.
+    """
+
+    def __init__(self, ttl: timedelta, keep_waiting: bool = True):
+        self.ttl, self.keep_waiting = ttl, keep_waiting
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, payload string")
+        self.known = handle.getListState("known", "payload string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timer: Any) -> Iterator[Row]:
+        events, dims = [], []
+        for r in rows:
+            (dims if r["kind"] else events).append((r["ts"], r["payload"]))
+        ttl = int(self.ttl.total_seconds() * 1_000_000)
+        old = [r[0] for r in self.known.get()] if self.known.exists() else []
+        waiting = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        for at, payload in waiting:
+            for d_at, d in dims:
+                if d_at <= at + ttl:
+                    yield Row(event=payload, dimension=d)
+        fresh = [d for _, d in dims]
+        for at, payload in events:
+            for d in old:
+                yield Row(event=payload, dimension=d)
+            for d_at, d in dims:
+                if d_at <= at + ttl:
+                    yield Row(event=payload, dimension=d)
+        if fresh:
+            self.known.appendList([(d,) for d in fresh])
+        # an event waits on: a further version of the dimension may match it too
+        mark = timer.getCurrentWatermarkInMs() * 1000
+        left = [(a, p) for a, p in waiting + events if a + ttl >= mark]
+        if self.keep_waiting and left:
+            self.waiting.put(left)
+            self.handle.registerTimer(int(max(a for a, _ in left) + ttl) // 1000 + 1)
+        else:
+            self.waiting.clear()
+
+    def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[Row]:
+        mark, ttl = timer.getCurrentWatermarkInMs() * 1000, int(self.ttl.total_seconds() * 1_000_000)
+        left = [(r[0], r[1]) for r in self.waiting.get() if r[0] + ttl >= mark] if self.waiting.exists() else []
+        self.waiting.put(left) if left else self.waiting.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def late_dimension_join(events: DataFrame, dimension: DataFrame, key: str, time_col: str, ttl: timedelta, dim_time: str | None = None) -> DataFrame:
+    """events joined with dimension on key, whichever comes first; the other columns of dimension follow those of events.
+
+    Both are streams with event time. An event waits up to ttl for its dimension row.
+    """
+    dim_time = dim_time or time_col
+    mark = f"{ttl.total_seconds():.3f} seconds"
+
+    def side(df: DataFrame, kind: int, at: str) -> DataFrame:
+        own = df.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", mark)
+        return own.select(F.col(key).cast("string").alias("key"), F.lit(kind).alias("kind"), F.unix_micros("__at").alias("ts"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("payload"), "__at")
+
+    both = side(events, 0, time_col).unionByName(side(dimension, 1, dim_time)).where("key is not null")
+    joined = both.groupBy("key").transformWithState(LateDimension(ttl), "event string, dimension string", outputMode="Append", timeMode="EventTime")
+    more = [f for f in dimension.schema.fields if f.name not in (key, dim_time)]
+    read = joined.select(F.from_json("event", events.schema).alias("e"), F.from_json("dimension", T.StructType(more)).alias("d"))
+    return read.select("e.*", *(F.col(f"d.`{f.name}`").alias(f.name) for f in more))
