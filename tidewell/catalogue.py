@@ -66,7 +66,7 @@ SAME = {
     "mask_pii": "SELECT c_custkey, SUBSTR(c_name, 1, 4) || '****' AS masked FROM customer",
     "score_weighted": "SELECT c_custkey, ROUND(c_acctbal * CAST(0.4 AS DOUBLE) + c_nationkey * CAST(0.6 AS DOUBLE), 6) AS score FROM customer",
     "ab_bucket": "SELECT c_custkey, CASE WHEN MOD(ABS(c_custkey), 100) < 50 THEN 'control' ELSE 'test' END AS variant FROM customer",
-    "agg_tier_summary": "SELECT c_mktsegment, COUNT(*) AS n, ROUND(AVG(c_acctbal), 4) AS avg_balance, COUNT(DISTINCT c_nationkey) AS nations FROM customer GROUP BY c_mktsegment",
+    "agg_tier_summary": "SELECT c_mktsegment, COUNT(*) AS n, ROUND(AVG(c_acctbal), 6) AS avg_balance, COUNT(DISTINCT c_nationkey) AS nations FROM customer GROUP BY c_mktsegment",
     "agg_having": "SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total, MIN(o_orderkey) AS first_order, MAX(o_orderkey) AS last_order FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12",
     "agg_filter_scalar": "SELECT COUNT(*) AS n FROM events WHERE event_type = 'purchase' AND value > 50",
     "agg_distinct": "SELECT event_type, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type",
