@@ -157,10 +157,13 @@ def brute_lines(rows):
     names = sorted(first)
     prints = []
     for x in names:
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split(" ")]
+        words = [w.encode() for w in x.split(" ")]
+        h = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        if len(h) % 2 == 0:  # a column's hash seeds the next one's
+            h.append(xxhash.xxh64_intdigest(words[-1], h[0]))
         prints.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h)))
     masks = lines.masks_for(len(names))
-    links = [(a, b) for a, b in combinations(range(len(names)), 2) if any((prints[a] ^ prints[b]) & m == 0 for m in masks) and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
+    links = [(a, b) for a, b in combinations(range(len(names)), 2) if any((prints[a] ^ prints[b]) & m == 0 for m in masks) and (prints[a] ^ prints[b]).bit_count() <= lines.MOST_BITS and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
     group, least = roots(range(len(names)), links), {}
     for a, r in group.items():
         least[r] = min(least.get(r, first[names[a]]), first[names[a]])
