@@ -163,7 +163,7 @@ def brute_lines(rows):
             h.append(xxhash.xxh64_intdigest(words[-1], h[0]))
         prints.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h)))
     masks = lines.masks_for(len(names))
-    links = [(a, b) for a, b in combinations(range(len(names)), 2) if any((prints[a] ^ prints[b]) & m == 0 for m in masks) and (prints[a] ^ prints[b]).bit_count() <= lines.MOST_BITS and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
+    links = [(a, b) for a, b in combinations(range(len(names)), 2) if min(len(names[a].split()), len(names[b].split())) >= lines.LEAST_WORDS and any((prints[a] ^ prints[b]) & m == 0 for m in masks) and (prints[a] ^ prints[b]).bit_count() <= lines.MOST_BITS and distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9]
     group, least = roots(range(len(names)), links), {}
     for a, r in group.items():
         least[r] = min(least.get(r, first[names[a]]), first[names[a]])
@@ -175,8 +175,8 @@ def brute_lines(rows):
 def test_lines(spark, monkeypatch, meet):
     monkeypatch.setattr(lines, "MEET", meet)
     rnd, rows = random.Random(5), []
-    base = [" ".join(rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(rnd.choice([4, 20, 60, 140]))) for _ in range(25)]
-    for i in range(90):
+    base = [" ".join(rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(rnd.choice([4, 12, 60]))) for _ in range(15)]
+    for i in range(50):
         own = []
         for _ in range(rnd.randint(0, 5)):
             w = rnd.choice(base).split(" ")
