@@ -181,6 +181,15 @@ def test_pseudonyms(spark):
     assert day.select(pii.date("k", F.col("d")).alias("x")).distinct().count() == day.count()
 
 
+def test_secrets_without_digits_and_long_ones(spark):
+    value, long = "correct-horse-battery", "Ab-" * 400
+    texts = [f'password = "{value}"', f'Secret: "{value}" in 2024', f"API-key='{long}'", f'token="{"x" * 512}"', f'token="{"x" * 513}"', f'token="{long}']
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "k").orderBy("id").collect()]
+    hidden = [re.search("[\"'](.*)[\"']", t)[1] for t in got[:5]]
+    assert hidden[0] == hidden[1] != value and [len(h) for h in hidden] == [21, 21, 1200, 512, 513]
+    assert long not in got[2] and "xxx" not in got[3] + got[4] and got[5] == texts[5]
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

@@ -11,10 +11,12 @@ ROUNDS = 8
 #: Days of one Gregorian cycle from FIRST_DAY, and two factors of it: the halves of a date.
 FIRST_DAY, DAYS, DAYS_LOW = "1800-01-01", 146_097, 189
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: What names a secret before its value.
+SECRET_NAMES = "(?i:token|secret|password|passwd|apikey|api_key|api-key)"
 #: Kind and pattern, in the order in which they are tried at each place.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<=\b(?i:token|secret|password|passwd|apikey|api_key|api-key)\s{0,3}[=:]\s{0,3}[\"'])[A-Za-z0-9+/_=-]{8,512}(?=[\"'])",
+    "secret": rf"(?<=\b{SECRET_NAMES}\s{{0,3}}[=:]\s{{0,3}}[\"'])[A-Za-z0-9+/_=-]{{8,}}+(?=[\"'])",
     "date": r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -22,6 +24,8 @@ KINDS = {
     "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What a text with a find of any kind holds: all kinds but secrets and mail addresses need a digit.
+HINT = f"[0-9@]|{SECRET_NAMES}"
 
 
 def _round(key: str, kind: str, i: Column, other: Column, size: Column) -> Column:
@@ -115,7 +119,7 @@ def mail(key: str, text: Column) -> Column:
 def secret(key: str, text: Column) -> Column:
     """Keyed hexadecimal text of the secret's length, upper case if the secret has no lower-case letter."""
     h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), text), 256)
-    out = F.substr(F.repeat(h, 8), F.lit(1), F.length(text))
+    out = F.substr(F.repeat(h, F.ceil(F.length(text) / 64).cast("int")), F.lit(1), F.length(text))
     return F.when(text.rlike("[a-z]"), out).otherwise(F.upper(out))
 
 
@@ -159,12 +163,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Numbers (card numbers of 13 to 19 digits that pass the Luhn check, telephone and social-security numbers, IPv4 addresses) and dates are permuted under key
     within their format, so that they stay valid, are as many, and can be turned back with the key; a card number still passes
     the check, and one that does not pass is no card and stays. Mail addresses and secrets in quotes become keyed hashes of like form. Equal values get equal
-    pseudonyms in every document. A null text stays null, without finds; a text without a digit or an at sign is not searched
-    further. Rows are treated one by one: ids, repeated rows and other columns, whatever their names but private, don't matter. No shuffle.
+    pseudonyms in every document. A null text stays null, without finds; a text without a digit, an at sign or
+    a secret's name is not searched further. Rows are treated one by one: ids, repeated rows and other columns, whatever their names but private, don't matter. No shuffle.
     """
     text = F.col(f"`{text_col}`").cast("string")
     names = docs.columns
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     each = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text"), F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))).alias("found"))
 
     def rewritten(gaps: Column) -> Column:
