@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import lines, mixing, packing, quality, simhash
+from tidewell.llm import lines, mixing, packing, quality, shingles
 from tidewell.llm.common import Written, sent_if_small
 from tidewell.llm.queries import table, vocabulary
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    found = simhash.simhash_near_dedup(docs)
+    """One document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more), that with the smallest id."""
+    found = shingles.shingle_near_dedup(docs)
     first = Written(found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("first_id")).distinct(), "first").df
     return docs.join(sent_if_small(first, 1_000_000), docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").select(*COLUMNS)
 
@@ -45,7 +45,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("source mixing", source_mixing),
     ("best-fit packing", best_fit_packing),
 ]

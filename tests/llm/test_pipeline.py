@@ -1,5 +1,8 @@
+import random
+from itertools import combinations
+
 import corpus_pipeline
-from tidewell.llm import queries
+from tidewell.llm import queries, simhash
 
 D = "/root/testdata/sf0.001"
 
@@ -19,3 +22,30 @@ def test_stages(spark):
 
 def test_every_operator_is_registered():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_near_dedup_is_by_shingle_similarity(spark):
+    rnd = random.Random(3)
+    rows = [(1000, None), (1001, ""), (1002, "two words"), (1003, "Two  WORDS"), (None, "two words")]
+    for i in range(40):
+        words = [rnd.choice("abcdefgh") + str(rnd.randrange(400)) for _ in range(rnd.choice([30, 120, 300]))]
+        for k in range(5):
+            own = list(words)
+            for _ in range(rnd.randint(0, len(own) // 40)):
+                own[rnd.randrange(len(own))] = f"new{rnd.randrange(99)}"
+            rows.append((i * 5 + k, " ".join(own)))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets if i is not None}
+    pairs = [(a, b) for a, b in combinations(group, 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in group:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars")
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, D).collect()]
+    assert sorted(got, key=str) == sorted([None, *{g for g in group.values()}], key=str)
+    far = [p for p in pairs if sets[p[0]] != sets[p[1]] and (simhash.fingerprint(dict(rows)[p[0]]) ^ simhash.fingerprint(dict(rows)[p[1]])).bit_count() > 3]
+    assert len(pairs) > 50 and len(far) > 20
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), D).count() == 0
