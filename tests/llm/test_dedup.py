@@ -187,3 +187,8 @@ def test_lines(spark, monkeypatch, meet):
     got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as stay", "2 as id"))
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows) and got.columns == ["doc_id", "text", "stay", "id", "lines"]
     assert lines.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_line_masks_do_not_depend_on_the_number_of_lines():
+    few = lines.masks_for(100)
+    assert len(few) == 10 and all(lines.masks_for(1 << k) == few for k in (20, 26, 27, 32, 33, 40))
