@@ -1,8 +1,9 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find pairs, exact similarity decides."""
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints under a Gray-order index find pairs, exact similarity decides."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Written
+from tidewell.llm.common import Written, sent_if_small
 from tidewell.llm.components import connected_components
+from tidewell.llm.simhash import CHUNK, GrayIndex, whole_groups
 
-#: Two sets of similarity s agree in a band with chance s ** ROWS; at 0.8, all 25 bands miss a pair with chance 5e-5.
-BANDS, ROWS, SEED = 25, 5, 42
-_KEYS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+SEED = 42
+#: Fingerprints of a set, each of other hashes; bits in which those of two similar sets may differ in one of them, and in all together.
+PRINTS, MOST, MOST_OF_ALL = 3, 16, 44
+#: A root is a pair of the eight bytes of a fingerprint: six or fewer differing bits leave two bytes whole.
+BYTES = list(combinations(range(8), 2))
+#: Codes of a root that meet in one task at most; a larger root is parted into pairs of halves of that.
+ROOT = 4096
+#: Odd multipliers that make further hashes of a shingle's.
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, words_each: int = 5) -> np.ndarray:
@@ -25,21 +33,23 @@ def shingle_set(text: str | None, words_each: int = 5) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1 if k else 0)], np.uint64))
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """A hash for each band of a set's MinHash values; none for an empty set."""
+def prints(shingles: np.ndarray) -> list[int]:
+    """The PRINTS SimHashes of a set of shingles, as signed longs; none for an empty set."""
     if not len(shingles):
         return []
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), 1 << 14):
-        least = np.minimum(least, ((shingles[at : at + (1 << 14)] ^ _KEYS[0]) * (_KEYS[1] | np.uint64(1))).min(axis=1))
-    return [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+    out = []
+    for m in _MIX:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), 1 << 16):
+            h = shingles[at : at + (1 << 16)] * m
+            h ^= h >> np.uint64(32)
+            ones += np.unpackbits((h * m).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True))
+    return out
 
 
 def shingled(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, shingles, bands) of each row; rows with equal shingles share the key."""
-
-    def longs(rows: list) -> pa.Array:
-        return pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+    """(id, key, shingles, prints) of each row; rows with equal shingles share the key."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,46 +57,94 @@ def shingled(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> Da
                 b = batch.slice(at, 500)
                 sets = [shingle_set(t, words_each) for t in b.column(1).to_pylist()]
                 key = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), longs(sets), longs([bands(s) for s in sets])], names=["id", "key", "shingles", "bands"])
+                longs = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), longs, pa.array([prints(s) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "shingles", "prints"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
-    return rows.mapInArrow(of, "id long, key long, shingles array<long>, bands array<long>")
+    return rows.mapInArrow(of, "id long, key long, shingles array<long>, prints array<long>")
+
+
+def near_prints(sets: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+    """(a long, b long, root long): pairs of sets (key, comp, prints) whose fingerprints are near under a common root.
+
+    A root is a masked bit pattern of one fingerprint; its codes meet in one task, in Gray order under nodes that hold the
+    bits they share. A root with more than two near pairs a code returns each code's smallest partner alone and is named in
+    a row without a pair. With such roots given as dense, they alone are searched, and return every near pair of different
+    components.
+    """
+    mask = [sum(0xFF << (8 * i) for i in pair) for pair in BYTES]
+    signed = [m - (1 << 64) if m >> 63 else m for m in mask]
+    kinds = [F.struct(F.lit(p).cast("byte").alias("print"), F.xxhash64(F.lit(p), F.lit(j), F.col("prints")[p].bitwiseAND(F.lit(m).cast("long"))).alias("root")) for p in range(PRINTS) for j, m in enumerate(signed)]
+    codes = [F.col("prints")[p].alias(f"code{p}") for p in range(PRINTS)]
+    roots = sets.where(F.size("prints") > 0).select("key", "comp", *codes, F.explode(F.array(*kinds)).alias("r")).select("r.root", "r.print", "key", "comp", *(f"code{p}" for p in range(PRINTS)))
+    if dense is not None:  # a search for what the first left
+        roots = roots.join(sent_if_small(dense), "root", "left_semi")
+    large = roots.groupBy("root").agg(F.count("*").alias("n")).where(f"n > {ROOT}")
+    sized = roots.join(sent_if_small(large), "root", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / (ROOT // 2)), F.lit(1)).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    met = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = met.select(F.when(F.col("parts") > 1, F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.col("root")).alias("at"), "root", "print", "key", "comp", *(f"code{p}" for p in range(PRINTS)))
+
+    again = dense is not None
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, root, kind, key, comp, *code in whole_groups(batches, CHUNK):
+            if not (at[1:] == at[:-1]).any():
+                continue
+            every = np.stack(code).view(np.uint64)
+            index = GrayIndex(at, every[kind, np.arange(len(at))])
+            place, root, key, comp, every = at[index.order], root[index.order], key[index.order], comp[index.order], every[:, index.order]
+            found = []
+            for a, b in index.pairs(MOST):
+                near = (comp[a] != comp[b]) & (np.bitwise_count(every[:, a] ^ every[:, b]).sum(axis=0) <= MOST_OF_ALL)
+                a, b = a[near], b[near]
+                if not again and len(a):  # at most two pairs a code, or each code's smallest partner
+                    low, high = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
+                    order = np.lexsort((low, high, place[a]))
+                    a, b = a[order], b[order]
+                    low, high = low[order], high[order]
+                    groups, at_, n = np.unique(place[a], return_inverse=True, return_counts=True)
+                    full = n > 2 * (np.searchsorted(place, groups, "right") - np.searchsorted(place, groups))
+                    one = np.r_[True, (high[1:] != high[:-1]) | (at_[1:] != at_[:-1])] | ~full[at_]
+                    named = np.unique(root[np.searchsorted(place, groups[full])])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(named), pa.int64()), pa.nulls(len(named), pa.int64()), pa.array(named)], names=["a", "b", "root"])
+                    a, b = a[one], b[one]
+                found.append((key[a], key[b]))
+            if found:
+                x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.nulls(len(x), pa.int64())], names=["a", "b", "root"])
+
+    return keyed.repartition("at").sortWithinPartitions("at").mapInArrow(search, "a long, b long, root long").distinct()
 
 
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a long, b long): links that connect all sets (key, shingles, bands) which share a band and are similar.
+    """(a long, b long): verified links that connect the sets (key, shingles, prints) which are similar and share a root of the index.
 
-    Each member of a bucket first meets the smallest; what that connects is one component, and only pairs of different
-    components of a bucket are compared further. No pair is dropped, and each link was verified.
+    Near pairs under each root are verified, in roots with many of them each code's with its smallest partner first; what
+    that connects is one component, and then every near pair of different components in those roots is verified.
     """
-    each = sets.select("key", F.explode("bands").alias("bucket"))
-    full = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("c")).where("n > 1")
-    members = Written(each.join(full, "bucket"), "members").df
 
     def verified(pairs: DataFrame) -> DataFrame:
         sides = [sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b")]
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(sides[0], "a").join(sides[1], "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)).select("a", "b")
 
-    star = members.where("key != c").select(F.col("key").alias("a"), F.col("c").alias("b")).distinct()
-    first = Written(verified(star), "links").df
+    met = Written(near_prints(sets.select("key", F.col("key").alias("comp"), "prints")), "pairs").df
+    first = Written(verified(met.where("root is null").select("a", "b")), "links").df
     comps = Written(connected_components(first, "a", "b"), "components").df
-    rows = members.join(comps, members["key"] == comps["node"], "left").select("bucket", "key", "c", F.coalesce("component", "key").alias("comp"))
-    several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rows = Written(rows.join(several, "bucket"), "several").df
-    a, b = (rows.select("bucket", "c", F.col("key").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b"))
-    met = a.join(b.drop("c"), "bucket").where("a < b and comp_a != comp_b and a != c").select("a", "b").distinct()
-    return first.union(verified(met))
+    rows = sets.join(comps, sets["key"] == comps["node"], "left").select("key", F.coalesce("component", "key").alias("comp"), "prints")
+    rest = Written(near_prints(rows, met.where("root is not null").select("root").distinct()), "pairs").df
+    return first.union(verified(rest.select("a", "b")))
 
 
-def shingle_near_dedup(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of all rows: groups of what a Jaccard similarity of word shingles of at least similarity connects.
 
     component_id is the smallest id of the group, null if it has none. Equal texts are one class, so copies are never
-    paired; texts without words are equal. An empty table gives no rows.
+    paired; texts without words are equal. Repeated rows are copies of each other; other columns are ignored. An empty
+    table gives no rows.
     """
     marked = Written(shingled(docs, words_each, id_col, text_col), "shingles").df
-    sets = Written(marked.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "sets").df
+    sets = Written(marked.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("prints").alias("prints")), "sets").df
     links = Written(similar_links(sets, similarity), "links").df
     found = connected_components(links, "a", "b")
     grouped = Written(marked.select("id", "key").join(found, marked["key"] == found["node"], "left").select("id", F.coalesce("component", "key").alias("component")), "grouped").df

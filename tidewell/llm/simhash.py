@@ -187,9 +187,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tupl
         yield tuple(c.to_numpy(zero_copy_only=False) for c in t.columns)
 
 
-def simhash_near_dedup(docs: DataFrame, most: int = 3, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_near_dedup(docs: DataFrame, most: int = 3, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id, n_equal): near-duplicate groups of all rows.
 
+    With a similarity, rows link by an exact Jaccard similarity of their word shingles of at least that, which fingerprints
+    of a wider radius find candidates for (see shingles), and the result is (id, component_id).
+
     Fingerprints link at most or fewer differing bits; component_id is the smallest id reachable by links, n_equal the
     rows that share the fingerprint. A null text is empty and has fingerprint zero, which links like any other. A
     null id gets a fingerprint and the component of its group; repeated rows are copies of each other; other
@@ -197,6 +200,10 @@ def simhash_near_dedup(docs: DataFrame, most: int = 3, words_each: int = 3, id_c
 
     Equal fingerprints are one class, so copies are never paired; classes meet under index roots.
     """
+    if similarity is not None:
+        from tidewell.llm.shingles import shingle_groups
+
+        return shingle_groups(docs, similarity, words_each, id_col, text_col)
     marked = Written(fingerprints(docs, id_col, text_col, words_each), "fingerprints").df
     classes = marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     links = Written(fingerprint_links(classes.select("fp", "rep").where("rep is not null"), most), "links").df
