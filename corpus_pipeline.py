@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import lines, mixing, packing, quality, shingles
+from tidewell.llm import lines, mixing, packing, quality, simhash
 from tidewell.llm.common import Written, sent_if_small
 from tidewell.llm.queries import table, vocabulary
 
@@ -26,10 +26,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more), that with the smallest id."""
-    found = shingles.shingle_near_dedup(docs)
-    first = Written(found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("first_id")).distinct(), "first").df
-    return docs.join(sent_if_small(first, 1_000_000), docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more), that with the smallest id.
+
+    A row without an id comes after all with one. Of rows that share an id one stays at most, the least by its columns.
+    An empty table gives no rows.
+    """
+    spare = 1 << 62
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*COLUMNS).bitwiseAND(F.lit(spare - 1)) + F.lit(spare))
+    rows = docs.select(*COLUMNS, ids.alias("row_id"))
+    found = simhash.simhash_near_dedup(rows, words_each=5, similarity=0.8, id_col="row_id")
+    first = Written(found.groupBy("row_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).where("row_id = least").select("row_id", "n"), "first").df
+    kept = rows.join(sent_if_small(first, 1_000_000), "row_id")
+    many = kept.where("n > 1").groupBy("row_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.where("n = 1").select(*COLUMNS).unionByName(many)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +54,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("source mixing", source_mixing),
     ("best-fit packing", best_fit_packing),
 ]
