@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Written, sent_if_small
+from tidewell.llm.common import Written, release, sent_if_small
 from tidewell.llm.components import connected_components
 from tidewell.llm.simhash import CHUNK, GrayIndex, whole_groups
 
@@ -48,20 +48,21 @@ def prints(shingles: np.ndarray) -> list[int]:
     return out
 
 
-def shingled(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, shingles, prints) of each row; rows with equal shingles share the key."""
+def shingled(rows: DataFrame, words_each: int, whole: bool) -> DataFrame:
+    """(id, key, prints) of rows (id, t), or (key, shingles) if whole; rows with equal shingles share the key."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 sets = [shingle_set(t, words_each) for t in b.column(1).to_pylist()]
-                key = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                longs = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), longs, pa.array([prints(s) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "shingles", "prints"])
+                key = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([key, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), key, pa.array([prints(s) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "prints"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
-    return rows.mapInArrow(of, "id long, key long, shingles array<long>, prints array<long>")
+    return rows.mapInArrow(of, "key long, shingles array<long>" if whole else "id long, key long, prints array<long>")
 
 
 def near_prints(sets: DataFrame, dense: DataFrame | None = None) -> DataFrame:
@@ -116,24 +117,35 @@ def near_prints(sets: DataFrame, dense: DataFrame | None = None) -> DataFrame:
     return keyed.repartition("at").sortWithinPartitions("at").mapInArrow(search, "a long, b long, root long").distinct()
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """(a long, b long): verified links that connect the sets (key, shingles, prints) which are similar and share a root of the index.
+def similar_links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a long, b long): verified links that connect the sets (key, prints) which are similar and share a root of the index.
 
     Near pairs under each root are verified, in roots with many of them each code's with its smallest partner first; what
     that connects is one component, and then every near pair of different components in those roots is verified.
+    whole(keys) gives (key, shingles) of the sets that are asked for.
     """
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = [sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b")]
+    def verified(pairs: DataFrame) -> Written:
+        known = Written(whole(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()), "shingles")
+        sides = [known.df.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b")]
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)).select("a", "b")
-
-    met = Written(near_prints(sets.select("key", F.col("key").alias("comp"), "prints")), "pairs").df
-    first = Written(verified(met.where("root is null").select("a", "b")), "links").df
-    comps = Written(connected_components(first, "a", "b"), "components").df
-    rows = sets.join(comps, sets["key"] == comps["node"], "left").select("key", F.coalesce("component", "key").alias("comp"), "prints")
-    rest = Written(near_prints(rows, met.where("root is not null").select("root").distinct()), "pairs").df
-    return first.union(verified(rest.select("a", "b")))
+        found = Written(pairs.join(sides[0], "a").join(sides[1], "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)).select("a", "b"), "links")
+        known.drop()
+        release(sets.sparkSession)
+        return found
+
+    met = Written(near_prints(sets.select("key", F.col("key").alias("comp"), "prints")), "pairs")
+    release(sets.sparkSession)
+    first = verified(met.df.where("root is null").select("a", "b"))
+    comps = Written(connected_components(first.df, "a", "b"), "components")
+    rows = sets.join(comps.df, sets["key"] == comps.df["node"], "left").select("key", F.coalesce("component", "key").alias("comp"), "prints")
+    rest = Written(near_prints(rows, met.df.where("root is not null").select("root").distinct()), "pairs")
+    second = verified(rest.df.select("a", "b"))
+    links = Written(first.df.union(second.df), "links")
+    for done in (met, first, comps, rest, second):
+        done.drop()
+    release(sets.sparkSession)
+    return links.df
 
 
 def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,11 +153,18 @@ def shingle_groups(docs: DataFrame, similarity: float = 0.8, words_each: int = 5
 
     component_id is the smallest id of the group, null if it has none. Equal texts are one class, so copies are never
     paired; texts without words are equal. Repeated rows are copies of each other; other columns are ignored. An empty
-    table gives no rows.
+    table gives no rows. Shingles are kept of rows with a near partner alone, and made anew from their texts.
     """
-    marked = Written(shingled(docs, words_each, id_col, text_col), "shingles").df
-    sets = Written(marked.groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("prints").alias("prints")), "sets").df
-    links = Written(similar_links(sets, similarity), "links").df
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
+    marked = Written(shingled(rows, words_each, False), "prints").df
+    sets = Written(marked.groupBy("key").agg(F.first("prints").alias("prints"), F.min("id").alias("rep")), "sets").df
+
+    def whole(keys: DataFrame) -> DataFrame:
+        wanted = Written(sets.join(keys, "key").select("rep").distinct(), "wanted").df
+        found = shingled(rows.join(sent_if_small(wanted, 1_000_000), F.col("id").eqNullSafe(F.col("rep")), "left_semi"), words_each, True)
+        return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+    links = similar_links(sets.select("key", "prints"), whole, similarity)
     found = connected_components(links, "a", "b")
     grouped = Written(marked.select("id", "key").join(found, marked["key"] == found["node"], "left").select("id", F.coalesce("component", "key").alias("component")), "grouped").df
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
