@@ -55,6 +55,58 @@ def test_rewrites(planner):
         planner.bounded("SELECT * FROM a JOIN b USING (k)", lambda t: timedelta(1), lambda t: "ts")
 
 
+HOUR = timedelta(hours=1)
+
+
+@pytest.mark.parametrize(
+    "sql, bounds",
+    [
+        ("SELECT * FROM a JOIN b ON a.k = b.k", 1),
+        ("SELECT * FROM (SELECT * FROM a WHERE x > 1) a JOIN b ON a.k = b.k", 1),
+        ("SELECT * FROM (SELECT k, ts AS seen FROM a) c JOIN b ON c.k = b.k", 1),
+        ("WITH c AS (SELECT * FROM a) SELECT * FROM c JOIN b ON c.k = b.k", 1),
+        ("WITH c AS (SELECT * FROM a), e AS (SELECT * FROM c) SELECT * FROM e x LEFT JOIN b ON x.k = b.k", 1),
+        ("SELECT * FROM a JOIN d ON a.k = d.k JOIN b ON d.k = b.k", 1),
+        ("SELECT * FROM a JOIN b ON a.k = b.k JOIN v ON a.j = v.j", 3),
+        ("SELECT * FROM a LEFT JOIN b ON a.k = b.k LEFT JOIN v ON a.j = v.j", 3),
+        ("SELECT * FROM a, b WHERE a.k = b.k", 1),
+        ("SELECT * FROM a WHERE EXISTS (SELECT 1 FROM v JOIN b ON v.k = b.k WHERE v.k = a.k)", 1),
+        ("SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM v) u JOIN d ON u.k = d.k", 0),
+    ],
+)
+def test_events_are_bound_in_time_wherever_they_come_from(planner, sql, bounds):
+    got = planner.bounded(sql, lambda t: None if t == "d" else HOUR, lambda t: "ts")
+    assert got.count("interval") == 2 * bounds and got.count("IS NULL") == (1 if "LEFT JOIN v" in sql else 0)
+    planner.parse(got)
+    assert "c.`seen`" in got or "`c`.`seen`" in got if "seen" in sql else True
+
+
+@pytest.mark.parametrize("sql", ["SELECT * FROM a, b", "SELECT * FROM a LEFT JOIN b USING (k)", "SELECT * FROM (SELECT k FROM a) c JOIN b ON c.k = b.k", "SELECT * FROM (SELECT k, count(*) n FROM a GROUP BY k) c JOIN b ON c.k = b.k"])
+def test_what_can_not_be_bound_is_rejected(planner, sql):
+    with pytest.raises(SpecError):
+        planner.bounded(sql, lambda t: HOUR, lambda t: "ts")
+
+
+def test_bounds_hold_through_a_subquery_a_dimension_and_an_outer_join(spark):
+    topics = Topics(spark)
+    at = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, m)"
+    topics.add("a", spark.sql(f"SELECT 1 AS k, {at} AS ts, m FROM VALUES (0) t(m)"))
+    topics.add("b", spark.sql(f"SELECT 1 AS k, {at} AS ts, m FROM VALUES (30), (60), (61) t(m)"))
+    topics.add("v", spark.sql(f"SELECT 1 AS k, {at} AS ts, m FROM VALUES (-60), (-61), (100) t(m)"))
+    topics.add("d", spark.sql("SELECT 1 AS k"))
+
+    def rows(sql):
+        p = Pipeline("p", sql, Output("o", "json"), state=State(HOUR, dimensions=("d",)), event_time=dict.fromkeys("abv", "ts"))
+        return sorted(tuple(r) for r in run_batch(spark, p, topics).collect())
+
+    assert rows("SELECT c.m, b.m FROM (SELECT * FROM a) c JOIN d ON c.k = d.k JOIN b ON d.k = b.k") == [(0, 30), (0, 60)]
+    assert rows("WITH c AS (SELECT k, ts AS seen FROM a) SELECT b.m FROM c JOIN b ON c.k = b.k") == [(30,), (60,)]
+    # v is bound to a and to b: 100 is too late for a, -60 too early for b at 30 and 60
+    assert rows("SELECT b.m, v.m FROM a JOIN b ON a.k = b.k JOIN v ON a.k = v.k") == []
+    assert rows("SELECT b.m, v.m FROM a LEFT JOIN b ON a.k = b.k AND b.m > 99 JOIN v ON a.k = v.k") == [(None, -60)]
+    assert rows("SELECT a.m, v.m FROM a, v WHERE a.k = v.k") == [(0, -60)]
+
+
 def test_names():
     assert view_name("a.b-c") == "a_b_c" and quoted("a`b") == "`a``b`" and edge_name("x", "a") == edge_name("a", "x")
     assert join_key({"a": 1, "b": None}, ["a", "b", "c"]) == "1||"

@@ -39,7 +39,7 @@ def test_canonical_and_inference():
     assert canonical(a) == canonical(b) and canonical(canonical(a)) == canonical(a)
     with pytest.raises(ValueError):
         canonical('{"a":1,}')
-    got = infer({"id": 1, "x": 10.0, "y": 3.14, "t": "2024-01-01T00:00:00Z", "s": "a", "n": None, "l": [1], "m": {}, "b": b"", "f": True})
+    got = infer({"id": 1, "x": 25.0, "y": -0.75, "t": "2024-01-01T00:00:00Z", "s": "a", "n": None, "l": [1], "m": {}, "b": b"", "f": True})
     assert got == {"b": "bytes", "f": "bool", "id": "int", "l": "array", "m": "map", "n": "null", "s": "string", "t": "timestamp", "x": "int", "y": "float"} and list(got) == sorted(got)
     assert not differs({"a": "int", "b": "int"}, {"b": "int", "a": "int"}) and differs({"a": "int"}, {"a": "long"})
     c = Catalog()
@@ -81,6 +81,7 @@ def test_messages_round_trip(spark, tmp_path):
     js = df.select(json_value(df).alias("value")).union(spark.createDataFrame([("nonsense",)], "value string"))
     assert sorted(from_json_value(js, df.schema).collect()) == sorted(df.collect())
     assert [tuple(x) for x in conformed(df, {"z": "int", "k": "string"}).collect()] == [(None, "1"), (None, "2")]
+    assert [tuple(x) for x in conformed(df, {"z": "int", "s": "string"}, {"z": 7, "s": "none"}).collect()] == [(7, "a"), (7, "none")]
 
 
 def test_coercions(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +14,7 @@ from tidewell.plans.spec import AppConfig, load_config, load_pipelines
 from tidewell.sources.registry import Registry
 from tidewell.sources.sinks import write_batch
 from tidewell.sources.topics import Topics
+from tidewell.streaming.metrics import Metrics
 from tidewell.streaming.runner import run_all
 
 
@@ -29,12 +31,21 @@ def main(args: list[str] | None = None) -> int:
     config = load_config(o.config) if o.config else AppConfig()
     spark = SparkSession.builder.config(map=config.spark_conf()).getOrCreate()
     pipelines = load_pipelines(o.pipelines, Planner(spark).plan)
-    topics, registry = Topics.of_folder(spark, o.topics), Registry(o.registry) if o.registry else None
+    folder = o.registry or (config.registry if config.registry and "://" not in config.registry else None)
+    topics, registry = Topics.of_folder(spark, o.topics), Registry(folder) if folder else None
+    topics.registry, topics.brokers = registry, config.brokers
+    if config.use_avro:  # messages are Avro wherever a pipeline says JSON
+        pipelines = [replace(p, output=replace(p.output, format="avro")) if p.output.format == "json" else p for p in pipelines]
     if o.mode == "batch":
         for p in pipelines:
             write_batch(run_batch(spark, p, topics), p.output, f"{o.out}/{p.output.topic}", registry, "overwrite")
-    elif run_all(spark, pipelines, topics, o.out, registry):
-        spark.streams.awaitAnyTermination()
+    else:
+        metrics = Metrics()
+        if run_all(spark, pipelines, topics, o.out, registry, config, metrics):
+            try:
+                spark.streams.awaitAnyTermination()
+            finally:
+                logging.getLogger(__name__).info("queries: %s", metrics.to_json())
     return 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,15 +73,21 @@ def run_sql(spark: SparkSession, sql: str, read: Callable[[str], DataFrame]) ->
             spark.catalog.dropTempView(view)
 
 
-def run_batch(spark: SparkSession, p: Pipeline, topics: Topics, bounded: bool = False) -> DataFrame:
-    """A pipeline's result over all rows of its topics; bounded adds the lifetimes of event topics to joins."""
+def run_batch(spark: SparkSession, p: Pipeline, topics: Topics, bounded: bool = True) -> DataFrame:
+    """A pipeline's result over all rows of its topics; bounded holds joins of events to their lifetimes, as a stream does.
+
+    A topic whose rows have no event time has no lifetime in a batch.
+    """
 
     def read(topic: str) -> DataFrame:
         df = topics.read(topic)
         return latest_versions(df, list(p.latest[topic]), p.time_of(topic)) if topic in p.latest else df
 
-    sql = Planner(spark).bounded(p.query, p.ttl, p.time_of) if bounded else p.query
-    return conformed(emitted(run_sql(spark, sql, read), p.emission), p.output.schema)
+    def ttl(topic: str) -> timedelta | None:
+        return p.ttl(topic) if p.ttl(topic) is not None and p.time_of(topic) in topics.read(topic).columns else None
+
+    sql = Planner(spark).bounded(p.query, ttl, p.time_of) if bounded else p.query
+    return conformed(emitted(run_sql(spark, sql, read), p.emission), p.output.schema, p.output.defaults)
 
 
 def result_schema(spark: SparkSession, p: Pipeline, schemas: dict[str, T.StructType]) -> dict[str, Any]:

@@ -13,13 +13,13 @@ def _updated(df: DataFrame, key: str, time_col: str) -> DataFrame:
 
 
 def expired(df: DataFrame, key: str, time_col: str, now: datetime, ttl: timedelta) -> DataFrame:
-    """Keys last seen over ttl before now, oldest first."""
-    return _updated(df, key, time_col).where(F.col("last_seen") < F.lit(now - ttl).cast(df.schema[time_col].dataType)).orderBy("last_seen", key)
+    """Keys last seen ttl or longer before now, oldest first: a key of exactly that age has expired."""
+    return _updated(df, key, time_col).where(F.col("last_seen") <= F.lit(now - ttl).cast(df.schema[time_col].dataType)).orderBy("last_seen", key)
 
 
 def alive(df: DataFrame, key: str, time_col: str, now: datetime, ttl: timedelta) -> DataFrame:
-    """Keys whose age at now is ttl or less."""
-    return _updated(df, key, time_col).where(F.col("last_seen") >= F.lit(now - ttl).cast(df.schema[time_col].dataType))
+    """Keys whose age at now is less than ttl."""
+    return _updated(df, key, time_col).where(F.col("last_seen") > F.lit(now - ttl).cast(df.schema[time_col].dataType))
 
 
 def removed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:

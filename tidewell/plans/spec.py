@@ -57,6 +57,8 @@ class Output:
     format: str
     schema: dict[str, str] = field(default_factory=dict)
     key: str | None = None
+    #: What a column that the result lacks, or holds no value in, gets.
+    defaults: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -111,13 +113,19 @@ def _schema(raw: Any) -> dict[str, str]:
     return {str(f["name"]): str(f["type"]) for f in fields}
 
 
+def _defaults(raw: Any) -> dict[str, Any]:
+    """Defaults of a schema's fields, where it is a list of fields or a record."""
+    fields = raw.get("fields", ()) if isinstance(raw, Mapping) else raw or ()
+    return {str(f["name"]): f["default"] for f in fields if isinstance(f, Mapping) and f.get("default") is not None}
+
+
 def parse_pipeline(text: str, check_query: Callable[[str], Any] | None = None) -> Pipeline:
     """A pipeline from YAML; check_query is called with the query and raises if it can't be planned."""
     raw = yaml.safe_load(expanded(text))
     if not isinstance(raw, Mapping):
         raise SpecError("the file is blank or no mapping")
     name, query, out = _need(raw, "name", ""), _need(raw, "query", ""), raw.get("output") or {}
-    output = Output(_need(out, "topic", "output."), str(_need(out, "format", "output.")).lower(), _schema(out.get("schema")), out.get("key"))
+    output = Output(_need(out, "topic", "output."), str(_need(out, "format", "output.")).lower(), _schema(out.get("schema")), out.get("key"), _defaults(out.get("schema")))
     if output.format not in FORMATS:
         raise SpecError(f"output.format is {output.format!r}, not one of {', '.join(FORMATS)}")
     emission = raw.get("emission") or {}

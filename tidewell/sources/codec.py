@@ -161,12 +161,13 @@ def key_value(df: DataFrame, key: str | None) -> Column:
     return F.col(f"`{key}`").cast("string").cast("binary") if key and key in df.columns else F.lit(None).cast("binary")
 
 
-def from_json_value(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows of the JSON in column value; a message that is no such object is left out."""
+def from_json_value(df: DataFrame, schema: T.StructType, name: str | None = None) -> DataFrame:
+    """Rows of the JSON in column value; a message that is no such object is left out, and counted under name in the query's progress."""
     corrupt = "__corrupt"
     wide = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     parsed = df.withColumn("__row", F.from_json(F.col("value").cast("string"), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}))
-    good = parsed.where(F.col("__row").isNotNull() & F.col(f"__row.{corrupt}").isNull())
+    readable = F.col("__row").isNotNull() & F.col(f"__row.{corrupt}").isNull()
+    good = (counted_bad(parsed, readable, name) if name else parsed).where(readable)
     return good.select(*(F.col(f"__row.`{f.name}`").alias(f.name) for f in schema.fields), *(c for c in df.columns if c not in ("key", "value") and c not in schema.fieldNames()))
 
 
@@ -211,8 +212,18 @@ def from_avro_value(df: DataFrame, schemas: dict[int, str], schema: T.StructType
     return df.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, schema)
 
 
-def conformed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
-    """The schema's columns alone, in its order and types; one that df lacks is null."""
+def conformed(df: DataFrame, schema: dict[str, str], defaults: dict[str, Any] | None = None) -> DataFrame:
+    """The schema's columns alone, in its order and types; where df has no value the column's default stands, or null."""
     if not schema:
         return df
-    return df.select(*(F.col(f"`{n}`").try_cast(t).alias(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in schema.items()))
+
+    def column(name: str, kind: str) -> Column:
+        own = F.col(f"`{name}`").try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        return F.coalesce(own, F.lit(defaults[name]).cast(kind)) if defaults and name in defaults else own
+
+    return df.select(*(column(n, t).alias(n) for n, t in schema.items()))
+
+
+def counted_bad(read: DataFrame, good: Column, name: str) -> DataFrame:
+    """read, with the numbers of its messages and of those that can't be read in the progress of its query."""
+    return read.observe(name, F.count(F.lit(1)).alias("messages"), F.count(F.when(~good, 1)).alias("unreadable"))

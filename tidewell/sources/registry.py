@@ -17,7 +17,10 @@ class Registry:
     """A file-backed schema registry: one file a schema, named by its id; a subject keeps the ids it was given."""
 
     def __init__(self, folder: str | Path):
-        self.folder = Path(folder)
+        text = str(folder).removeprefix("file://")
+        if "://" in text:
+            raise ValueError(f"the registry's folder must be one that the driver can open, not {folder}")
+        self.folder = Path(text)
         self.folder.mkdir(parents=True, exist_ok=True)
 
     def _all(self) -> dict[int, dict[str, Any]]:
@@ -27,6 +30,10 @@ class Registry:
         own = [(i, v["schema"]) for i, v in self._all().items() if v["subject"] == subject]
         return max(own) if own else None
 
+    def schemas(self) -> dict[int, str]:
+        """Every schema by its id."""
+        return {i: v["schema"] for i, v in self._all().items()}
+
     def by_id(self, schema_id: int) -> str:
         return json.loads((self.folder / f"{schema_id}.json").read_text())["schema"]
 

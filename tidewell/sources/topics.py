@@ -8,27 +8,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.sources.codec import from_json_value
+from tidewell.sources.codec import from_avro_value, from_json_value
+from tidewell.sources.registry import Registry
 
 MESSAGE = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
 
 
 @dataclass
 class Topic:
-    """Where a topic's rows are: parquet, json or csv files of rows, messages (files of MESSAGE rows with JSON values), a kafka topic, or a DataFrame."""
+    """Where a topic's rows are: parquet, json or csv files of rows, messages (files of MESSAGE rows), a kafka topic, or a DataFrame.
+
+    values tells whether messages hold JSON, or Avro framed by ids of the topics' registry.
+    """
 
     format: str
     path: str = ""
     schema: T.StructType | None = None
     options: dict[str, str] = field(default_factory=dict)
     frame: DataFrame | None = None
+    values: str = "json"
 
 
 class Topics:
     """Topics by name, read as DataFrames."""
 
-    def __init__(self, spark: SparkSession, known: dict[str, Topic] | None = None):
-        self.spark, self.known = spark, dict(known or {})
+    def __init__(self, spark: SparkSession, known: dict[str, Topic] | None = None, registry: Registry | None = None, brokers: tuple[str, ...] = ()):
+        self.spark, self.known, self.registry, self.brokers = spark, dict(known or {}), registry, brokers
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str, names: list[str] | None = None) -> Topics:
@@ -47,13 +52,25 @@ class Topics:
             self.known[name] = Topic("parquet", f"{self.folder}/{name}.parquet")
         return self.known[name]
 
+    def kafka_options(self, name: str, t: Topic) -> dict[str, str]:
+        """Options of Spark's Kafka source for a topic."""
+        return ({"kafka.bootstrap.servers": ",".join(self.brokers)} if self.brokers else {}) | {"subscribe": t.path or name, "startingOffsets": "earliest"} | t.options
+
+    def _rows(self, name: str, t: Topic, raw: DataFrame) -> DataFrame:
+        """Rows of a topic's messages."""
+        if t.values == "avro":
+            if self.registry is None:
+                raise ValueError(f"the Avro topic {name} needs a registry")
+            return from_avro_value(raw, self.registry.schemas(), t.schema)
+        return from_json_value(raw, t.schema, f"topic-{name}" if raw.isStreaming else None)
+
     def read(self, name: str) -> DataFrame:
         t = self._of(name)
         if t.frame is not None:
             return t.frame
         if t.format in ("messages", "kafka"):
-            raw = self.spark.read.format("kafka").options(**t.options).option("subscribe", t.path or name).load() if t.format == "kafka" else self.spark.read.schema(MESSAGE).parquet(t.path)
-            return from_json_value(raw, t.schema)
+            raw = self.spark.read.format("kafka").options(**self.kafka_options(name, t)).load() if t.format == "kafka" else self.spark.read.schema(MESSAGE).parquet(t.path)
+            return self._rows(name, t, raw)
         reader = self.spark.read.options(**t.options)
         return (reader.schema(t.schema) if t.schema else reader).format(t.format).load(t.path)
 
@@ -63,10 +80,9 @@ class Topics:
         if t.frame is not None:
             return t.frame
         if t.format == "kafka":
-            raw = self.spark.readStream.format("kafka").options(**{"startingOffsets": "earliest"} | t.options).option("subscribe", t.path or name).load()
-            return from_json_value(raw, t.schema)
+            return self._rows(name, t, self.spark.readStream.format("kafka").options(**self.kafka_options(name, t)).load())
         if t.format == "messages":
-            return from_json_value(self.spark.readStream.schema(MESSAGE).options(**t.options).parquet(t.path), t.schema)
+            return self._rows(name, t, self.spark.readStream.schema(MESSAGE).options(**t.options).parquet(t.path))
         schema = t.schema or self.spark.read.options(**t.options).format(t.format).load(t.path).schema
         return self.spark.readStream.schema(schema).options(**t.options).format(t.format).load(t.path)
 

@@ -12,11 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewell.operators.batch import run_sql
 from tidewell.operators.emission import check_required, emitted
 from tidewell.plans.planner import Planner
-from tidewell.plans.spec import Pipeline, SpecError
+from tidewell.plans.spec import AppConfig, Pipeline, SpecError
 from tidewell.sources.codec import conformed
 from tidewell.sources.registry import Registry
 from tidewell.sources.sinks import IdempotentSink
 from tidewell.sources.topics import Topics, latest_versions
+from tidewell.streaming.metrics import Metrics
 
 
 def stream_result(spark: SparkSession, p: Pipeline, topics: Topics, streaming: set[str] | None = None, output_mode: str = "append") -> DataFrame:
@@ -48,7 +49,7 @@ def stream_result(spark: SparkSession, p: Pipeline, topics: Topics, streaming: s
     sql = planner.bounded(p.query, p.ttl, p.time_of)
     out = run_sql(spark, sql, read)
     check_required(out.columns, p.emission)
-    return conformed(emitted(out, p.emission), p.output.schema)
+    return conformed(emitted(out, p.emission), p.output.schema, p.output.defaults)
 
 
 def dedup_stream(df: DataFrame, keys: list[str], time_col: str, delay: str) -> DataFrame:
@@ -57,12 +58,12 @@ def dedup_stream(df: DataFrame, keys: list[str], time_col: str, delay: str) -> D
 
 
 def start(
-    df: DataFrame, p: Pipeline, path: str, checkpoint: str, registry: Registry | None = None, interval: str | None = "10 seconds", output_mode: str = "append"
+    df: DataFrame, p: Pipeline, path: str, checkpoint: str, registry: Registry | None = None, interval: str | None = "10 seconds", output_mode: str = "append", brokers: tuple[str, ...] = ()
 ) -> StreamingQuery:
     """Start the query: micro-batches go to path, progress to checkpoint; interval None takes what there is and ends."""
     writer = df.writeStream.queryName(f"{p.name}-{uuid.uuid4().hex[:6]}").outputMode(output_mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.foreachBatch(IdempotentSink(p.output, path, registry)).start()
+    return writer.foreachBatch(IdempotentSink(p.output, path, registry, brokers, df.sparkSession)).start()
 
 
 def run_available(df: DataFrame, p: Pipeline, path: str, checkpoint: str, registry: Registry | None = None, output_mode: str = "append") -> None:
@@ -70,6 +71,20 @@ def run_available(df: DataFrame, p: Pipeline, path: str, checkpoint: str, regist
     start(df, p, path, checkpoint, registry, None, output_mode).awaitTermination()
 
 
-def run_all(spark: SparkSession, pipelines: list[Pipeline], topics: Topics, base: str, registry: Registry | None = None) -> list[StreamingQuery]:
-    """Start every pipeline, each with its own output and checkpoint under base."""
-    return [start(stream_result(spark, p, topics), p, f"{base}/{p.output.topic}", f"{base}/_checkpoints/{Path(p.name).name}", registry) for p in pipelines]
+def run_all(spark: SparkSession, pipelines: list[Pipeline], topics: Topics, base: str, registry: Registry | None = None, config: AppConfig | None = None, metrics: Metrics | None = None) -> list[StreamingQuery]:
+    """Start every pipeline, each with its own output and checkpoint under base.
+
+    Of config the brokers take messages, and emit_every is the time between micro-batches; a topic's rate is bounded by its
+    own options (maxOffsetsPerTrigger, maxFilesPerTrigger), which bound a batch's rows. metrics gets each query's progress.
+    """
+    config = config or AppConfig()
+    if metrics is not None:
+        spark.streams.addListener(metrics)
+    every = f"{config.emit_every.total_seconds():.3f} seconds"
+    return [start(stream_result(spark, p, topics), p, f"{base}/{p.output.topic}", f"{base}/_checkpoints/{Path(p.name).name}", registry, every, brokers=config.brokers) for p in pipelines]
+
+
+def state_rows(spark: SparkSession, checkpoint: str, operator: int = 0, side: str | None = None) -> DataFrame:
+    """The keys and values that a query's stateful operator holds, from its checkpoint; of a join those of side left or right."""
+    reader = spark.read.format("statestore").option("operatorId", operator)
+    return (reader.option("joinSide", side) if side else reader).load(checkpoint)
