@@ -18,16 +18,6 @@ from tidewell.streaming.metrics import Metrics
 from tidewell.streaming.runner import dedup_stream, run_all, run_available, state_rows, stream_result
 
 HOUR = timedelta(hours=1)
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@pytest.fixture()
-def rocks(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKS)
-    yield
-    spark.conf.set(name, before)
 
 
 def at(minutes):
@@ -114,6 +104,26 @@ def test_rows_out_of_order_and_too_late(spark, tmp_path):
     assert state_rows(spark, f"{tmp_path}/c", side="left").columns[:2] == ["key", "value"]
 
 
+def test_smart_emission_waits_for_a_late_dimension_row(spark, tmp_path):
+    schemas = {"e": "k long, ts timestamp, n long", "d": "k long, ts timestamp, name string"}
+    topics = Topics(spark, {n: Topic("parquet", f"{tmp_path}/{n}", spark.createDataFrame([], s).schema) for n, s in schemas.items()})
+    text = "{name: p, query: 'SELECT e.n, d.name FROM e LEFT JOIN d ON e.k = d.k', output: {topic: o, format: parquet}, emission: {type: smart, require: [name]}, state: {events: {default_ttl: 1h}, dimensions: [{topic: d, stream: true}]}, event_time: {e: ts, d: ts}}"
+    p = parse_pipeline(text)
+
+    def step(e, d):
+        for name, rows in (("e", e), ("d", d)):
+            spark.createDataFrame(rows, schemas[name]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        run_available(stream_result(spark, p, topics), p, f"{tmp_path}/o", f"{tmp_path}/c")
+        found = sorted(map(tuple, read_table(spark, f"{tmp_path}/o").collect()))
+        return found, state_rows(spark, f"{tmp_path}/c", side="left").count()
+
+    assert step([(1, at(0), 10), (2, at(0), 20)], [(9, at(0), "z")]) == ([], 2)  # both wait
+    assert step([(1, at(30), 11)], [(1, at(60), "a")])[0] == [(10, "a"), (11, "a")]  # an hour after the first
+    got, waiting = step([(9, at(400), 90)], [(2, at(400), "b")])
+    assert got == [(10, "a"), (11, "a"), (90, "z")]  # event 20 had expired when its row came, dimension rows never do
+    assert step([(1, at(401), 12)], [(8, at(401), "y")]) == ([(10, "a"), (11, "a"), (12, "a"), (90, "z")], 2)  # those before are gone
+
+
 def test_dedup_state_expires(spark, tmp_path):
     schema = spark.createDataFrame([], "k long, ts timestamp").schema
     p = Pipeline("p", "SELECT 1 FROM x", Output("o", "parquet"))

@@ -208,7 +208,7 @@ def dedup_key(spark: SparkSession, d: str) -> DataFrame:
     return events.unionByName(events).dropDuplicates(["user_id", "event_type"]).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-NOW, TTL = datetime(2024, 1, 20), timedelta(days=1)
+TTL = timedelta(days=1)
 
 
 def _cutoff(spark: SparkSession, d: str) -> tuple[DataFrame, datetime]:
@@ -335,28 +335,13 @@ def stream_dim_enrich(spark: SparkSession, d: str) -> DataFrame:
     return _ran(spark, d, p, ("click",), ("customer",))
 
 
-@_query("SELECT c.event_id AS click_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON c.user_id = s.user_id")
+@_query("SELECT c.event_id AS click_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON c.user_id = s.user_id AND s.ts <= c.ts + INTERVAL 48 HOUR")
 def stream_late_dim(spark: SparkSession, d: str) -> DataFrame:
-    """Clicks that wait for the signups of their user, whichever comes first."""
-    from tidewell.sources.sinks import read_table
-    from tidewell.streaming.enrich import late_dimension_join
-    from tidewell.streaming.runner import run_available
-
-    base, provider = _scratch(spark), "spark.sql.streaming.stateStore.providerClass"
-    events = Topics.of_folder(spark, d).read("events")
-    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
-    signups = events.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup_id"))
-    clicks.repartition(3).write.parquet(f"{base}/clicks")
-    signups.repartition(3).write.parquet(f"{base}/signups")
-    topics = Topics(spark, {"clicks": _topic(f"{base}/clicks", clicks.schema), "signups": _topic(f"{base}/signups", signups.schema)})
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        joined = late_dimension_join(topics.read_stream("clicks"), topics.read_stream("signups"), "user_id", "ts", timedelta(days=90))
-        run_available(joined.select("click_id", "signup_id"), _pipeline("SELECT 1 FROM clicks"), f"{base}/out", f"{base}/checkpoint")
-    finally:
-        spark.conf.set(provider, before)
-    return read_table(spark, f"{base}/out")
+    """Clicks that wait two days for the signups of their user, in a pipeline with smart emission."""
+    sql = "SELECT c.event_id AS click_id, s.event_id AS signup_id FROM clicks c LEFT JOIN signups s ON c.user_id = s.user_id"
+    state = State(timedelta(hours=48), dimensions=("signups",), streamed=("signups",))
+    p = _pipeline(sql, ("signup_id",), state=state, event_time={"clicks": "ts", "signups": "ts"})
+    return _ran(spark, d, p, ("click", "signup")).where("click_id >= 0 and signup_id >= 0")
 
 
 @_query("SELECT event_id, user_id FROM events")

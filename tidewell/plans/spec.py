@@ -72,6 +72,8 @@ class State:
     default_ttl: timedelta = DEFAULT_TTL
     overrides: dict[str, timedelta] = field(default_factory=dict)
     dimensions: tuple[str, ...] = ()
+    #: Dimensions whose rows may come after the events that need them.
+    streamed: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -138,11 +140,12 @@ def parse_pipeline(text: str, check_query: Callable[[str], Any] | None = None) -
     ttl = duration(events["default_ttl"]) if events.get("default_ttl") else span or DEFAULT_TTL
     dims = state.get("dimensions") or ()
     names = tuple(d["topic"] if isinstance(d, Mapping) else d for d in dims)
+    streamed = tuple(d["topic"] for d in dims if isinstance(d, Mapping) and d.get("stream"))
     latest = {d["topic"]: tuple(d["latest"]) for d in dims if isinstance(d, Mapping) and d.get("latest")}
     if check_query:
         check_query(query)
     overrides = {k: duration(v) for k, v in (events.get("overrides") or {}).items()}
-    return Pipeline(str(name), query, output, Emission(kind, require), State(ttl, overrides, names), span, dict(raw.get("event_time") or {}), latest)
+    return Pipeline(str(name), query, output, Emission(kind, require), State(ttl, overrides, names, streamed), span, dict(raw.get("event_time") or {}), latest)
 
 
 def load_pipeline(path: str | Path, check_query: Callable[[str], Any] | None = None) -> Pipeline:

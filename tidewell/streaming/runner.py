@@ -25,12 +25,15 @@ def stream_result(spark: SparkSession, p: Pipeline, topics: Topics, streaming: s
 
     Event topics are streams with a watermark of their own, their lifetime late; joins of two of them are bounded by
     their lifetimes. Dimensions are read as tables, anew for each micro-batch, and never expire; a small
-    one is broadcast where Spark's size estimate allows it. streaming names the topics to stream, all events unless given.
+    one is broadcast where Spark's size estimate allows it. streaming names the topics to stream, unless given all events and,
+    where emission is smart, the dimensions that the pipeline streams: an event then waits its lifetime for the
+    dimension's row, and leaves when its required columns are there.
     """
     planner = Planner(spark)
     plan = planner.plan(planner.any_to_contains(p.query))
     events = {t for t in plan.tables if p.ttl(t) is not None}
-    streaming = events if streaming is None else streaming
+    late = set(p.state.streamed) if p.emission.type == "smart" else set()
+    streaming = events | late & set(plan.tables) if streaming is None else streaming
     if not streaming & set(plan.tables):
         raise SpecError("no topic of the query is a stream")
     if plan.aggregates and output_mode == "append" and "window(" not in p.query.lower():
@@ -43,10 +46,10 @@ def stream_result(spark: SparkSession, p: Pipeline, topics: Topics, streaming: s
         df, at = topics.read_stream(topic), p.time_of(topic)
         if at not in df.columns:
             return df
-        ttl = p.ttl(topic)
+        ttl = p.ttl(topic) or p.state.default_ttl
         return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, f"{ttl.total_seconds():.3f} seconds" if ttl else "0 seconds")
 
-    sql = planner.bounded(p.query, p.ttl, p.time_of)
+    sql = planner.bounded(p.query, p.ttl, p.time_of, frozenset(t for t in streaming if p.ttl(t) is None))
     out = run_sql(spark, sql, read)
     check_required(out.columns, p.emission)
     return conformed(emitted(out, p.emission), p.output.schema, p.output.defaults)
