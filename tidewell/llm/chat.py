@@ -74,15 +74,33 @@ def parsed(formatted: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.split(formatted, r"<\|im_start\|>"), lambda b: b != ""), rows))
 
 
+def runs_of(formatted: Column, loss_role: str = "assistant") -> Column:
+    """The (on, chars) runs of a formatted conversation, from its marks alone."""
+
+    def run(on: bool, chars: Column) -> Column:
+        return F.struct(F.lit(on).alias("on"), chars.cast("int").alias("chars"))
+
+    def texts(body: Column) -> Column:
+        return F.flatten(F.transform(F.split(body, r"<\|im_sep\|>"), lambda t, i: F.filter(F.array(F.when(i > 0, run(False, F.lit(len(SEP)))), run(True, F.length(t))), lambda r: r.isNotNull())))
+
+    def runs(block: Column) -> Column:
+        head = F.substring_index(block, "\n", 1)
+        body = F.substr(block, F.length(head) + 2, F.length(block) - F.length(head) - 1 - len(END))
+        inside = F.when(_role_in(head) == loss_role, texts(body)).otherwise(F.array(run(False, F.length(body))))
+        return F.concat(F.array(run(False, F.length(head) + len(START) + 1)), inside, F.array(run(False, F.lit(len(END)))))
+
+    return F.flatten(F.transform(F.filter(F.split(formatted, r"<\|im_start\|>"), lambda b: b != ""), runs))
+
+
 def digests(chats: DataFrame, loss_role: str = "assistant", conv_col: str = "conv_id") -> DataFrame:
     """Digest columns of formatted conversations, read back from formatted and checked against loss_runs.
 
-    The rows of loss_role are the runs under the mask; where their number or length differs from the mask's, the job fails.
+    Where texts of loss_role stand in formatted is read from its marks; where any run of the mask begins or ends elsewhere, the job fails.
     """
     read = chats.select(conv_col, "formatted", "loss_runs", parsed(F.col("formatted")).alias("rows"))
     under = F.filter("rows", lambda r: r["role"] == loss_role)
-    read = read.select(conv_col, "formatted", "rows", F.transform(under, lambda r: r["text"]).alias("loss"), F.transform(F.filter("loss_runs", lambda r: r["on"]), lambda r: r["chars"]).alias("mask"))
-    same = F.coalesce(F.transform("loss", lambda t: F.length(escaped(t))) == F.col("mask"), F.lit(False))
+    read = read.select(conv_col, "formatted", "rows", F.transform(under, lambda r: r["text"]).alias("loss"), "loss_runs", runs_of(F.col("formatted"), loss_role).alias("mask"))
+    same = F.coalesce(F.col("loss_runs") == F.col("mask"), F.lit(False))
     loss = F.array_join("loss", "")
     return read.select(
         conv_col,

@@ -15,7 +15,7 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 SECRET_NAMES = "(?i:token|secret|password|passwd|apikey|api_key|api-key)"
 #: Kind and pattern, in the order in which they are tried at each place.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}",
     "secret": rf"(?<=\b{SECRET_NAMES}\s{{0,3}}[=:]\s{{0,3}}[\"'])[A-Za-z0-9+/_=-]{{8,}}+(?=[\"'])",
     "date": r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -103,6 +103,21 @@ def date(key: str, text: Column, back: bool = False) -> Column:
     return F.when(n.isNull() | ~n.between(0, DAYS - 1), text).otherwise(moved)
 
 
+def ssn(key: str, digits: Column, back: bool = False) -> Column:
+    """Nine digits of a valid number, permuted among the valid ones: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
+    area, group, serial = (F.substr(digits, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+
+    def out(s: Column) -> Column:
+        return F.concat(
+            F.lpad((s["l"] + 1 + F.when(s["l"] >= 665, 1).otherwise(0)).cast("string"), 3, "0"),
+            F.lpad((F.floor(s["r"] / 9999) + 1).cast("string"), 2, "0"),
+            F.lpad((s["r"] % 9999 + 1).cast("string"), 4, "0"),
+        )
+
+    left = area - 1 - F.when(area > 666, 1).otherwise(0)
+    return let(feistel(key, "ssn", left, (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), back), out)
+
+
 def address(key: str, text: Column, back: bool = False) -> Column:
     """An IPv4 address, permuted among all."""
     o = F.transform(F.split(text, r"\."), lambda x: x.cast("long"))
@@ -145,7 +160,7 @@ def pseudonym(key: str, kind: Column, found: Column) -> Column:
         F.when(kind == "email", mail(key, found))
         .when(kind == "ip", address(key, found))
         .when(kind == "date", date(key, found))
-        .when(kind == "ssn", in_format(found, permuted_digits(key, "ssn", digits)))
+        .when(kind == "ssn", in_format(found, let(digits, lambda d: ssn(key, d))))
         .when(kind == "phone", in_format(found, number))
         .when(kind == "card", in_format(found, let(digits, lambda d: card(key, d))))
         .when(kind == "secret", secret(key, found))
@@ -166,13 +181,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     pseudonyms in every document. A null text stays null, without finds; a text without a digit, an at sign or
     a secret's name is not searched further. Rows are treated one by one: ids, repeated rows and other columns, whatever their names but private, don't matter. No shuffle.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(f"`{text_col}`").cast("string")
     names = docs.columns
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    each = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text"), F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))).alias("found"))
+    # a subquery's value, so that the key stands in no plan, event log or page
+    secret_key = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    each = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text"), F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))).alias("found"), secret_key.alias("key"))
+    own = F.col("key")
 
     def rewritten(gaps: Column) -> Column:
-        parts = F.zip_with(gaps, F.col("found"), lambda g, m: F.concat(g, F.coalesce(pseudonym(key, m["kind"], m["m"]), F.lit(""))))
+        parts = F.zip_with(gaps, F.col("found"), lambda g, m: F.concat(g, F.coalesce(pseudonym(own, m["kind"], m["m"]), F.lit(""))))
         return F.array_join(parts, "")
 
     new = F.when(F.size("found") > 0, let(F.split("text", ANY), rewritten)).otherwise(F.col("text"))
