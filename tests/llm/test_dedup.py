@@ -227,7 +227,43 @@ def test_edit_bounds(spark):
         if k % 5 == 0:
             b = b[len(b) // 3 :] + b[: len(b) // 3]
         rows.append((" ".join(a), " ".join(b)))
-    d = spark.createDataFrame(rows, "a string, b string").selectExpr("*", "levenshtein(a, b) as d", "cast(floor(greatest(length(a), length(b)) * 0.2) as int) as most")
-    got = d.select("d", "most", lines.edits_within(d.a, d.b, d.most).alias("within"), lines.aligned_edits(d.a, d.b).alias("aligned"), lines.pieced_edits(d.a, d.b).alias("pieced")).collect()
-    assert all(r.within == (r.d <= r.most) and r.pieced >= r.d and (r.aligned is None or r.aligned >= r.d) for r in got)
-    assert len({r.within for r in got}) == 2 and any(r.aligned is not None for r in got)
+    rows += [("", ""), ("", "abc"), ("a", "b"), ("x" * 2500, "y" * 2500), ("é" * 3000 + "a" * 500, "a" * 500 + "é" * 3000)]
+    got = spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", "levenshtein(a, b) as d").collect()
+    assert [lines.edit_distance(r.a, r.b) for r in got] == [r.d for r in got]
+    for r in got:
+        fifth = max(len(r.a), len(r.b)) // 5
+        assert [lines.edits_within(r.a, r.b, m) for m in (fifth, r.d, r.d - 1)] == [r.d <= fifth, True, False]
+    assert len({r.d <= max(len(r.a), len(r.b)) // 5 for r in got}) == 2
+
+
+def test_line_marks():
+    """Marks against their definition, a line at a time."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(WORDS[:4]) + str(rnd.randrange(60)) for _ in range(k)) for k in (1, 2, 7, 8, 9, 11, 12, 40, 400)] + ["a a a a a a a a a", "aaaaaaaaaaaa", "漢字仮名交じり文を十文字以上"]
+    sims, blocks = lines._marked(texts, lines._WordHashes())
+    ones = sum(1 << (4 * k) for k in range(14))
+
+    def marks(keys, least):
+        keys = sorted(set(keys))
+        bits = [int(x) for x in lines._mixed(np.array(keys, np.uint64) + np.uint64(1))]
+        sim = sum(1 << (14 * lane + s) for lane in range(4) for s in range(14) if 2 * sum(b >> (16 * lane + s) & 1 for b in bits) > len(bits))
+        k = max(least, int(np.floor(np.log2(len(keys) * 0.4))))
+        starts = [i for i, x in enumerate(keys) if not i or x >> (40 - k) != keys[i - 1] >> (40 - k)]
+        own = [[bits[(i + j) % len(keys)] for j in range(5)] for i in starts]
+        return sim, [sum(b & ones for b in five) ^ sum(b >> 1 & ones for b in five) << 3 for five in own]
+
+    for i, text in enumerate(texts):
+        words, want, sim = text.split(" "), [], []
+        if len(words) >= lines.LEAST_WORDS:
+            s, b = marks([xxhash.xxh64_intdigest(w.encode()) >> 24 for w in words], lines.WORD_RANGES)
+            sim, want = [s], b
+        assert [x for x in [sims[0][i].as_py()] if x is not None] == sim
+        if len(words) <= lines.MOST_WORDS:
+            c = [ord(x) for x in text] + [0, 0]
+            code = np.array([c[j] | c[j + 1] << 21 | (c[j + 2] << 42 if c[j + 1] else 0) for j in range(len(text))], np.uint64)
+            s, b = marks([int(x) >> 24 for x in lines._mixed(code)], lines.GRAM_RANGES)
+            assert sims[1][i].as_py() == s
+            want = want + b
+        else:
+            assert sims[1][i].as_py() is None
+        assert blocks[i].as_py() == want

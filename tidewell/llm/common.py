@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,18 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[li
             yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans that run inside send Python workers so many rows at once, so that long texts fit in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def driver_bytes(spark: SparkSession, path: str, most: int = 64 << 20):
     """A broadcast of a vocabulary file's bytes, of checked size."""
     with open(path, "rb") as f:
