@@ -271,3 +271,50 @@ def test_line_marks():
         else:
             assert sims[1][i].as_py() is None
         assert blocks[i].as_py() == want
+
+
+def test_line_expressions(spark):
+    """Marks and the edit bound as expressions, against their definitions."""
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefgh") + str(rnd.randrange(90)) for _ in range(k)) for k in (1, 2, 8, 40, 130, 700)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "split(t, ' ') as w")
+    f = lines.word_features(d.w)
+    got = d.select("w", f.alias("f"), lines.simhash(f).alias("s"), lines.blocks(f, lines.WORD_RANGES).alias("b")).collect()
+    ones = sum(1 << (4 * k) for k in range(14))
+    for r in got:
+        keys = sorted({xxhash.xxh64_intdigest(w, 42) - (1 << 64 if xxhash.xxh64_intdigest(w, 42) >> 63 else 0) for w in r.w})
+        assert r.f == keys
+        assert r.s == sum(1 << i for i in range(56) if 2 * sum(h >> i & 1 for h in keys) > len(keys))
+        k = max(lines.WORD_RANGES, int(np.floor(np.log2(len(keys) * 0.4))))
+        twice = keys + keys[:4]
+        at = [i for i, x in enumerate(keys) if not i or x >> (64 - k) != keys[i - 1] >> (64 - k)]
+        assert r.b == [sum(h & ones for h in twice[i : i + 5]) ^ sum(h >> 1 & ones for h in twice[i : i + 5]) << 3 for i in at]
+    pairs = [(a, a[: len(a) // 2] + rnd.choice(["", "x y z ", "q" * 30]) + a[len(a) // 2 + rnd.randrange(40) :]) for a in texts] + [("", "abc"), ("x" * 2500, "y" * 2500)]
+    p = spark.createDataFrame(pairs, "a string, b string").selectExpr("*", "levenshtein(a, b) as d").where("d > 0")
+    near = p.select(lines.alike(p.a, p.b, p.d).alias("within"), lines.alike(p.a, p.b, p.d - 1).alias("beyond")).collect()
+    assert len(near) > 3 and all(r.within and not r.beyond for r in near)
+
+
+def test_lines_run_no_python_and_few_pairs(spark, monkeypatch):
+    """Lines that share a passage and are not alike: each pair is compared once at most, by expressions alone."""
+    rnd, compared = random.Random(4), []
+    passage = " ".join(f"common{k}" for k in range(30))
+    rows = [(i, f"{' '.join(str(rnd.randrange(10**6)) for _ in range(12))} {passage} {' '.join(str(rnd.randrange(10**6)) for _ in range(12))}") for i in range(60)]
+    rows += [(100 + i, f"{passage} {i}") for i in range(40)]
+    written = lines.Written
+
+    class Kept(written):
+        def __init__(self, df, label):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not any(x in plan for x in ("Arrow", "Python", "Pandas"))
+            super().__init__(df, label)
+            if label in ("star", "pairs"):
+                compared.extend(tuple(sorted((r.a, r.b))) for r in self.df.collect())
+
+    monkeypatch.setattr(lines, "Written", Kept)
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Arrow", "Python", "Pandas"))
+    want, due, _ = brute_lines(rows)
+    assert due > 30 and {r.doc_id: r.text for r in got.collect()} == want
+    assert len(compared) == len(set(compared)) < 100 * 99 / 2
