@@ -68,3 +68,12 @@ def test_near_dedup_is_by_shingle_similarity(spark):
     far = [p for p in pairs if sets[p[0]] != sets[p[1]] and (simhash.fingerprint(dict(rows)[p[0]]) ^ simhash.fingerprint(dict(rows)[p[1]])).bit_count() > 3]
     assert len(pairs) > 50 and len(far) > 20
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), D).count() == 0
+
+
+def test_line_stage_runs_no_python(spark):
+    docs = spark.createDataFrame([(1, "this line is long enough", "en", "a", 24), (2, "This line is long enough!", "en", "b", 25)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, docs, D)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Arrow", "Python", "Pandas"))
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == [(1, "this line is long enough", 24), (2, "", 0)]
+    assert not any(hasattr(corpus_pipeline.lines, x) for x in ("mark_lines", "alike_pairs"))
