@@ -36,6 +36,16 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_parts_are_encoded_without_numpy(monkeypatch):
+    """A part has a few ids, for which an array of numpy costs as much as a third of the encoding."""
+    with open(vocabulary("word_bpe_49k.json"), "rb") as f:
+        encoder = packing.PartEncoder(f.read())
+    texts = ["", "Plain words, and more.", "été 12 zz\nomega"]
+    want = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "np", None)
+    assert [encoder.encoded(t) for t in texts] == want and [encoder.encode(t) for t in texts] == want
+
+
 def test_packing(spark):
     texts = [*odd_texts(300, 2), "one two three. " * 4000, "Word's, OK! " * 50, None, None]
     docs = spark.createDataFrame([*enumerate(texts), (None, "a"), (0, "b")], "doc_id long, text string").selectExpr("*", "1 as length").repartition(3)

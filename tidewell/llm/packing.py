@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -40,7 +41,8 @@ class PartEncoder(dict):
         self.plain = self.encoded("Ab.") == self.encoded("ab") + self.encoded(".")
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)  # for a few ids much cheaper than an array of numpy
 
     def word(self, text: str) -> bytes:
         if (ids := self.words.get(text)) is None:
