@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewell.llm import embeddings, lines, simhash, substrings
 from tidewell.llm.components import connected_components
@@ -295,6 +296,30 @@ def test_line_expressions(spark):
     assert len(near) > 3 and all(r.within and not r.beyond for r in near)
 
 
+def test_pairs_of_unlike_length_go_first(spark, monkeypatch):
+    """No pair that lengths allow is lost to the lengths in nodes; pairs met before are taken out in one join."""
+    pairs = [(a, a - d) for a in [*range(10, 400, 3), 1000, 5000, 10**6] for d in {0, 1, a // 5 - 1, a // 5} if 0 <= d < a]
+    pairs += [(100, 70), (1000, 700), (10**6, 7 * 10**5)]
+    d = spark.createDataFrame(pairs, "x int, y int")
+    nodes = [lines.node_of(F.xxhash64(c), F.xxhash64(F.lit(1), c), d[c]) for c in ("x", "y")]
+    may = [r[0] for r in d.select(lines.lengths_may(*nodes, 0.8)).collect()]
+    assert all(may[:-3]) and not any(may[-3:])
+
+    plans, written = {}, lines.Written
+
+    class Kept(written):
+        def __init__(self, df, label):
+            plans.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+            super().__init__(df, label)
+
+    monkeypatch.setattr(lines, "Written", Kept)
+    text = "several words that stand in a line of some length for a test of pairs"
+    rows = [(1, text), (2, text + " x"), (3, f"{text} y"), (4, "nothing like the others at all here")]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r.lines.n_removed for r in got.collect()) == 2
+    assert [p.count("LeftAnti") for p in plans["pairs"]] == [1] and len(plans["twos"]) == 2
+
+
 def test_lines_run_no_python_and_few_pairs(spark, monkeypatch):
     """Lines that share a passage and are not alike: each pair is compared once at most, by expressions alone."""
     rnd, compared = random.Random(4), []
