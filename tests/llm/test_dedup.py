@@ -343,3 +343,46 @@ def test_lines_run_no_python_and_few_pairs(spark, monkeypatch):
     want, due, _ = brute_lines(rows)
     assert due > 30 and {r.doc_id: r.text for r in got.collect()} == want
     assert len(compared) == len(set(compared)) < 100 * 99 / 2
+
+
+def test_buckets_part_at_gaps_of_length(spark, monkeypatch):
+    """Parting loses no pair that lengths allow; what is alone goes, larger buckets stay whole."""
+    rnd = random.Random(6)
+    rows = [(b, c, f"{b} {k}") for b in range(60) for k, c in enumerate(int(10 * 1.3 ** rnd.uniform(0, 25)) for _ in range(rnd.randint(3, 9)))]
+    rows += [(99, int(10 * 1.5**k), f"99 {k}") for k in range(12)]
+    monkeypatch.setattr(lines, "MEET", 10)
+    d = spark.createDataFrame(rows, "bucket long, chars int, t string")
+    d = d.select("bucket", "chars", lines.node_of(F.xxhash64("t"), F.xxhash64(F.lit(1), "t"), F.col("chars")).alias("node"))
+    sums = d.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("c"), F.bit_xor("node").alias("x"))
+    parts = {}
+    for r in lines.by_length(d.join(sums, "bucket"), 0.8).collect():
+        parts.setdefault(r.bucket, []).append(r)
+    for part in parts.values():
+        nodes = [r.node for r in part]
+        assert all((r.n, r.c, r.x) == (len(nodes), min(nodes), int(np.bitwise_xor.reduce(nodes))) for r in part) and len(nodes) > 1
+    of = {}
+    for r in d.collect():
+        of.setdefault(r.bucket, []).append(r)
+    due = {tuple(sorted((a.node, b.node))) for x in of.values() for a, b in combinations(x, 2) if min(a.chars, b.chars) >= 0.8 * max(a.chars, b.chars)}
+    whole = {tuple(sorted((a.node, b.node))) for a, b in combinations(of[99], 2)}
+    met = {tuple(sorted((a.node, b.node))) for x in parts.values() for a, b in combinations(x, 2)}
+    assert due | whole <= met and len(parts[99]) == 12
+    assert len(met) < sum(len(x) * (len(x) - 1) / 2 for x in of.values()) / 2
+
+
+def test_texts_move_once_by_pair(spark, monkeypatch):
+    """Each text of a pair is dealt once, by its pair; texts that no pair names are not moved."""
+    plans, written = [], lines.Written
+
+    class Kept(written):
+        def __init__(self, df, label):
+            if label == "links":
+                plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            super().__init__(df, label)
+
+    monkeypatch.setattr(lines, "Written", Kept)
+    text = "several words that stand in a line of some length for a test of pairs"
+    rows = [(i, f"{text} {'x' * i}") for i in range(4)] + [(9, "nothing like the others at all here")]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r.lines.n_removed for r in got.collect()) == 3
+    assert len(plans) > 3 and all(p.count("RepartitionByExpression [a#") == 2 and "Repartition " not in p and p.count("strategy=broadcast") == 2 for p in plans[:-1])
