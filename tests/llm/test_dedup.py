@@ -386,3 +386,12 @@ def test_texts_move_once_by_pair(spark, monkeypatch):
     got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sum(r.lines.n_removed for r in got.collect()) == 3
     assert len(plans) > 3 and all(p.count("RepartitionByExpression [a#") == 2 and "Repartition " not in p and p.count("strategy=broadcast") == 2 for p in plans[:-1])
+
+
+def test_line_marks_without_inner_loops(spark):
+    """Blocks add their hashes without a loop for each; words are aligned only where most have a place, and alike answers as ever."""
+    d = spark.createDataFrame([("a b c d e f g h", "s t u v w x y z"), ("a b c d e f g h", "a b c d e f g x")], "a string, b string")
+    plan = d.select(lines.blocks(lines.word_features(F.split("a", " ")), lines.WORD_RANGES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+    got = d.select(lines.aligned_edits(d.a, d.b).alias("bound"), lines.alike(d.a, d.b, F.lit(8)).alias("far"), lines.alike(d.a, d.b, F.lit(7)).alias("near")).collect()
+    assert [tuple(r) for r in got] == [(None, True, False), (1, True, True)]
